@@ -47,3 +47,33 @@ def words(text: str | None) -> list[bytes]:
 def bucket(term: bytes, mask: int) -> int:
     """The hashed feature of a term; crc32 is the same on every machine."""
     return zlib.crc32(term) & mask
+
+
+def appended(df: DataFrame, make, added: str, inputs: list[str], keep: list[str] | None = None, rows: int = 2000, where: str | None = None) -> DataFrame:
+    """df's columns (keep: only these) and those that a Python function computes from its input columns.
+
+    make() is called once per task and gives a function from a RecordBatch of the inputs, of at most so many
+    rows, to a list of arrays, one for each column of the DDL string added. A kept column with the name of an
+    added one gives way to it. where: the name of an added boolean; only its true rows are passed on, without it.
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
+    read = list(dict.fromkeys([*kept, *inputs]))
+    schema = StructType([*(df.schema[c] for c in kept), *(f for f in new if f.name != where)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        f = make()
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):
+                b = whole.slice(k, rows)
+                columns = dict(zip(kept, (b.column(c) for c in kept), strict=True)) | dict(zip(new.names, f(b), strict=True))
+                mask = columns.pop(where) if where else None
+                out = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                yield out.filter(mask) if where else out
+
+    quoted = [f"`{c}`" for c in read]
+    return df.select(*quoted).mapInArrow(run, schema)

@@ -15,5 +15,52 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op6_token_counts": op6_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.avi import with_features, with_media
+
+    return with_features(with_media(table(spark, sf_dir, "documents"), keep=["doc_id"]), keep=["doc_id", "n_bytes"])
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.decontaminate import leak_report
+
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.warc import archive, read_records
+
+    return read_records(archive(table(spark, sf_dir, "pages")), payloads=False).drop("html", "url")
+
+
+QUERIES = {"op4_avi_media": op4_avi_media, "op6_token_counts": op6_token_counts, "op8_decontamination": op8_decontamination, "op10_warc": op10_warc}
+
+_DOC_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({_DOC_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, {_DOC_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (
+  SELECT DISTINCT item_id, w[k:k + least(len(w), 10) - 1] AS x
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(x) AS n FROM iw),
+dw AS (
+  SELECT r, k, n, w[k:k + n - 1] AS x
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT r, k, n, item_id FROM dw JOIN iw USING (x)),
+per AS (
+  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM hits) GROUP BY r),
+names AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN per USING (r) LEFT JOIN names USING (r)""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS newest FROM q WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN newest IS NULL OR page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM q LEFT JOIN g USING (payload_digest)""",
+}
