@@ -15,6 +15,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.avi import with_features, with_media
 
@@ -27,13 +33,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.urls import RULES, UrlModel, judge, labelled_urls
+
+    return judge(table(spark, sf_dir, "pages"), RULES, UrlModel(labelled_urls(spark)))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.warc import archive, read_records
 
     return read_records(archive(table(spark, sf_dir, "pages")), payloads=False).drop("html", "url")
 
 
-QUERIES = {"op4_avi_media": op4_avi_media, "op6_token_counts": op6_token_counts, "op8_decontamination": op8_decontamination, "op10_warc": op10_warc}
+QUERIES = {"op3_html_text": op3_html_text, "op4_avi_media": op4_avi_media, "op6_token_counts": op6_token_counts, "op8_decontamination": op8_decontamination, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 
 _DOC_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
