@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeworks.llm.common import table
 
@@ -15,6 +16,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    space = quality.learn(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
+    scored = quality.with_quality(docs, space, keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.html import extract
 
@@ -27,6 +37,15 @@ def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_features(with_media(table(spark, sf_dir, "documents"), keep=["doc_id"]), keep=["doc_id", "n_bytes"])
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.with_toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.decontaminate import leak_report
 
@@ -45,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(archive(table(spark, sf_dir, "pages")), payloads=False).drop("html", "url")
 
 
-QUERIES = {"op3_html_text": op3_html_text, "op4_avi_media": op4_avi_media, "op6_token_counts": op6_token_counts, "op8_decontamination": op8_decontamination, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op1_quality": op1_quality, "op3_html_text": op3_html_text, "op4_avi_media": op4_avi_media, "op6_token_counts": op6_token_counts, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 
 _DOC_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
