@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tapeworks.llm.common import table
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(archive(table(spark, sf_dir, "pages")), payloads=False).drop("html", "url")
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_html_text": op3_html_text, "op4_avi_media": op4_avi_media, "op6_token_counts": op6_token_counts, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op1_quality": op1_quality, "op3_html_text": op3_html_text, "op4_avi_media": op4_avi_media, "op5_near_duplicates": op5_near_duplicates, "op6_token_counts": op6_token_counts, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 
 _DOC_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
