@@ -31,6 +31,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeworks.llm.mixing import TARGETS, mixed
+
+    return mixed(table(spark, sf_dir, "documents"), TARGETS).select("doc_id", "source", "mix_block", "mix_slot", "mix_place")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeworks.llm.html import extract
 
@@ -70,7 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(archive(table(spark, sf_dir, "pages")), payloads=False).drop("html", "url")
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_html_text": op3_html_text, "op4_avi_media": op4_avi_media, "op5_near_duplicates": op5_near_duplicates, "op6_token_counts": op6_token_counts, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_html_text": op3_html_text, "op4_avi_media": op4_avi_media, "op5_near_duplicates": op5_near_duplicates, "op6_token_counts": op6_token_counts, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 
 _DOC_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
