@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
