@@ -6,24 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.sources import market
+from tapeworks.functions import flows, patterns, prices, windows  # noqa: F401  they fill OPERATORS
+from tapeworks.plans import columns
+from tapeworks.sources import market, views
 
-_BARS = market.CANDLES_SQL
+#: Digits of results: sums are taken in other orders in other engines.
+DIGITS = 9
+
+
+def _kind(op: columns.Operator) -> str:
+    return "return" if op.family == "risk and performance" and op.reads == "scalar" and op.name not in ("recovery_factor", "max_drawdown", "pain_index", "drawdown_duration") else op.reads
+
+
+def _query(op: columns.Operator) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: columns.compute(views.rows(spark, sf_dir, _kind(op)), op.name, DIGITS)
+
+
+def _oracle(op: columns.Operator) -> str:
+    return f"WITH {views.duck(_kind(op))} {columns.query(op.name, 'rows_ q', False, DIGITS)}"
 
 
 def _sma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
+    """The flagship: several operators in one pass over hourly candles."""
+    bars = views.rows(spark, sf_dir, "scalar")
+    return columns.fused(bars, {"sma5": ("sma_of", {"period": 5}), "bollinger": ("bollinger_bands", {"period": 20}), "zscore": ("z_score", {})}, DIGITS)
+
 
-    w = Window.partitionBy("series").orderBy("at_ms")
-    n = F.row_number().over(w)
-    mean = F.avg("close").over(w.rowsBetween(-4, 0))
-    return market.candles(spark, sf_dir).select("series", "at_ms", F.round(F.when(n >= 5, mean), 6).alias("sma"))
+_SMA_PARTS = {
+    "sma5_value": "CASE WHEN row_number() OVER w >= 5 THEN avg(close) OVER (w ROWS 4 PRECEDING) END",
+    "bollinger_upper": "m + 2 * d", "bollinger_middle": "m", "bollinger_lower": "m - 2 * d", "bollinger_stddev": "d",
+    "zscore_value": "CASE WHEN d = 0 THEN 0 ELSE (close - m) / d END",
+}
+_SMA_SQL = f"""
+WITH {market.CANDLES_SQL} SELECT series, at_ms, {", ".join(f"{columns.rounded(x, DIGITS)} AS {k}" for k, x in _SMA_PARTS.items())}
+FROM (SELECT *, CASE WHEN row_number() OVER w >= 20 THEN avg(close) OVER (w ROWS 19 PRECEDING) END AS m, CASE WHEN row_number() OVER w >= 20 THEN stddev_pop(close) OVER (w ROWS 19 PRECEDING) END AS d
+      FROM candles WINDOW w AS (PARTITION BY series ORDER BY at_ms)) z WINDOW w AS (PARTITION BY series ORDER BY at_ms)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"sma": _sma}
+    return {"sma": _sma} | {name: _query(op) for name, op in columns.OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"sma": f"WITH {_BARS} SELECT series, at_ms, round(CASE WHEN row_number() OVER w >= 5 THEN avg(close) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END, 6) AS sma FROM candles WINDOW w AS (PARTITION BY series ORDER BY at_ms)"}
+    return {"sma": _SMA_SQL} | {name: _oracle(op) for name, op in columns.OPERATORS.items()}

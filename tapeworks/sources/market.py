@@ -24,7 +24,7 @@ def candles(spark: SparkSession, sf_dir: str, bucket_ms: int = HOUR_MS) -> DataF
 #: The same candles in DuckDB.
 CANDLES_SQL = """
 candles AS (
-  SELECT event_type AS series, (epoch_ms(ts) // 3600000) * 3600000 + 3600000 AS at_ms,
+  SELECT event_type AS series, ((epoch_us(ts) // 1000) // 3600000) * 3600000 + 3600000 AS at_ms,
          arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
          arg_max(value, (ts, event_id)) AS close, count(*) * 1.0 AS volume
   FROM events WHERE value > 0 GROUP BY 1, 2)
