@@ -260,7 +260,13 @@ def _mfi(s, period):
 
 
 o("mfi", "candle", _mfi, period=5)
-o("rvi", "candle", lambda s, period: s.held(when(f"{s.sum('h - l', period)} > 0", s.div(s.sum("c - o", period), s.sum("h - l", period)))), period=10)
+
+
+def _rvi(s, period):
+    return s.held(when(f"{s.sum('h - l', period)} > 0", s.div(s.sum("c - o", period), s.sum("h - l", period))))
+
+
+o("rvi", "candle", _rvi, period=10)
 
 
 def _ultimate(s, short, mid, long):

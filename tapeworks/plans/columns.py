@@ -7,6 +7,7 @@ Spark exchanges and sorts the rows once whatever the number of levels or fused o
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -134,6 +135,41 @@ class Builder:
         w = self.over()
         return self.let(f"last({x}, true) OVER {w}" if self.spark else f"last_value({x} IGNORE NULLS) OVER {w}")
 
+    def decay(self, u, q: float) -> str:
+        """y = q * y before + u, from the first u that isn't null; u has no later nulls.
+
+        Spark sums q ** (age) * u in blocks of rows, so that powers stay in range. Of the blocks before only the
+        last one counts: a block is so long that whatever came before it has faded below double precision.
+        """
+        u = self.flat(u)
+        if not self.spark:
+            w = self.over()
+            return self.let(f"CASE WHEN {u} IS NOT NULL THEN list_reduce(list({u}) FILTER (WHERE {u} IS NOT NULL) OVER {w}, lambda a_, e_: a_ * {q!r} + e_) END")
+        if q <= 0:
+            return u
+        length = max(8, math.ceil(-42 / math.log(q)))
+        at = self.let(f"count({u}) OVER {self.over()} - 1")
+        block = self.let(f"CASE WHEN {u} IS NOT NULL THEN CAST(floor({at} / {float(length)!r}) AS BIGINT) ELSE -1 END")
+        place = self.let(f"CAST({at} - {block} * {length} AS DOUBLE)")
+        scaled = self.let(f"{u} * exp({place} * {-math.log(q)!r})")
+        own = self.let(f"sum({scaled}) OVER (PARTITION BY series, {block} ORDER BY at_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        before = self.let(f"sum({scaled}) OVER (PARTITION BY series ORDER BY {block} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)")
+        return self.let(f"CASE WHEN {u} IS NOT NULL THEN exp({place} * {math.log(q)!r}) * ({own} + coalesce({before}, 0e0) * {q**length!r}) END")
+
+    def smooth(self, x, alpha: float, seed: int) -> str:
+        """y moves by alpha towards x; the first y is the mean of the first seed values."""
+        x = self.flat(x)
+        n = self.let(f"count({x}) OVER {self.over()}")
+        mean = self.let(f"avg({x}) OVER {self.over()}") if seed > 1 else x
+        return self.decay(f"CASE WHEN {x} IS NULL OR {n} < {seed} THEN NULL WHEN {n} = {seed} THEN {mean} ELSE {alpha!r} * {x} END", 1 - alpha)
+
+    def ema(self, x, n: int) -> str:
+        return self.smooth(x, 2 / (n + 1), n)
+
+    def rma(self, x, n: int) -> str:
+        """Wilder's average, seeded by a mean."""
+        return self.smooth(x, 1 / n, n)
+
     def rn(self) -> str:
         return self.let("CAST(row_number() OVER (PARTITION BY series ORDER BY at_ms) AS DOUBLE)")
 
@@ -194,9 +230,19 @@ def _select(source: str, levels: list[dict[str, str]], made: dict[str, str], dig
     return f"SELECT series, at_ms, {', '.join(f'{x} AS {k}' for k, x in shown.items())} FROM {at}"
 
 
+def _frame(df: DataFrame, levels: list[dict[str, str]], made: dict[str, str], digits: int | None) -> DataFrame:
+    """The levels as projections one upon the other, each analysed by itself."""
+    for level in levels:
+        if level:
+            df = df.selectExpr("*", *(f"{x} AS {k}" for k, x in level.items()))
+    return df.selectExpr("series", "at_ms", *(f"{rounded(x, digits) if digits is not None else x} AS {k}" for k, x in made.items()))
+
+
 def compute(df: DataFrame, name: str, digits: int | None = None, **params) -> DataFrame:
     """The operator's columns for every row of df (series, at_ms and the operator's inputs)."""
-    return df.sparkSession.sql(query(name, "{rows} q", True, digits, **params), rows=df)
+    b = Builder()
+    made = outputs(OPERATORS[name], b, params)
+    return _frame(df, b.levels, made, digits)
 
 
 def fused(df: DataFrame, requests: dict[str, tuple[str, dict]], digits: int | None = None) -> DataFrame:
@@ -204,10 +250,10 @@ def fused(df: DataFrame, requests: dict[str, tuple[str, dict]], digits: int | No
     levels: list[dict[str, str]] = []
     made: dict[str, str] = {}
     for k, (label, (name, params)) in enumerate(requests.items()):
-        b = Builder(True, prefix=f"f{k}v")
+        b = Builder(prefix=f"f{k}v")
         made |= {f"{label}_{key}": x for key, x in outputs(OPERATORS[name], b, params).items()}
         for i, level in enumerate(b.levels):
             while len(levels) <= i:
                 levels.append({})
             levels[i] |= level
-    return df.sparkSession.sql(_select("{rows} q", levels, made, digits), rows=df)
+    return _frame(df, levels, made, digits)

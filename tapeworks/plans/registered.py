@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.functions import flows, patterns, prices, windows  # noqa: F401  they fill OPERATORS
+from tapeworks.functions import flows, patterns, prices, recursive, windows  # noqa: F401  they fill OPERATORS
 from tapeworks.plans import columns
 from tapeworks.sources import market, views
 
