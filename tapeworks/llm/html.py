@@ -126,7 +126,9 @@ def main_text(html: str | None) -> str:
         end = k
         while end < len(sums) and sums[end]:
             end += 1
-        stretches.append((k, end, max(sums[k:end]), sum(weight[k:end])))
+        # The window runs ahead of the text: a stretch itself begins and ends with a line that weighs something.
+        own = [i for i in range(k, end) if weight[i]]
+        stretches.append((own[0], own[-1] + 1, max(sums[k:end]), sum(weight[k:end])))
         k = end
     if not inside and stretches:
         most = max(s[3] for s in stretches)
