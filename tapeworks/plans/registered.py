@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeworks.functions import flows, patterns, prices, recursive, windows  # noqa: F401  they fill OPERATORS
+from tapeworks.operators import machines
 from tapeworks.plans import columns
 from tapeworks.sources import market, views
 
@@ -43,8 +44,12 @@ FROM (SELECT *, CASE WHEN row_number() OVER w >= 20 THEN avg(close) OVER (w ROWS
       FROM candles WINDOW w AS (PARTITION BY series ORDER BY at_ms)) z WINDOW w AS (PARTITION BY series ORDER BY at_ms)"""
 
 
+def _machine(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: machines.run(views.rows(spark, sf_dir, machines.MACHINES[name].reads), name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"sma": _sma} | {name: _query(op) for name, op in columns.OPERATORS.items()}
+    return {"sma": _sma} | {name: _query(op) for name, op in columns.OPERATORS.items()} | {name: _machine(name) for name in machines.MACHINES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from tapeworks.operators.machines import MACHINES
 from tapeworks.plans import columns, registered
 from tapeworks.sources import market
 
@@ -115,7 +116,7 @@ def test_series_do_not_mix(spark):
 
 
 def test_every_query_has_an_oracle_and_the_empty_table_works(spark):
-    assert registered.queries().keys() == registered.oracle_sql().keys()
+    assert registered.queries().keys() - MACHINES.keys() == registered.oracle_sql().keys()
     assert values(columns.compute(series(spark, []), "ema")) == []
 
 
