@@ -30,7 +30,7 @@ TABLE_BITS, SLICE_BITS = 18, 12
 RARE = 8.0
 #: Units of a bucket that are all compared with each other; larger buckets go by centres.
 SMALL = 6
-ROUNDS = 4
+ROUNDS = 3
 _MASK = (1 << 64) - 1
 _CHUNK = 512
 
@@ -52,10 +52,10 @@ def shingles(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     c = np.fromiter(map(zlib.crc32, ws), np.uint64, len(ws)) + np.uint64(1)
     n = max(1, len(c) - SHINGLE + 1)
     with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for k in range(min(SHINGLE, len(c))):
-            h = _mix(h + c[k : k + n] * _POWERS[k])
-    return np.unique(h, return_counts=True)
+        h = c[:n] * _POWERS[0]
+        for k in range(1, min(SHINGLE, len(c))):
+            h += c[k : k + n] * _POWERS[k]
+        return np.unique(_mix(h), return_counts=True)
 
 
 class Weights:
@@ -103,12 +103,12 @@ class Sampler:
             part = h[a : a + _CHUNK]
             with np.errstate(over="ignore"):
                 at = ((part[None, :] * self.mult[:, None]) >> np.uint64(48)).view(np.int64)
-                t = self.inverse.take(at)
+                t = self.inverse.take(at, mode="wrap")
                 t *= log_w[a : a + _CHUNK]
-                t += self.beta.take(at)
+                t += self.beta.take(at, mode="wrap")
                 np.floor(t, out=t)
-                value = self.fixed.take(at)
-                value -= self.r.take(at) * t
+                value = self.fixed.take(at, mode="wrap")
+                value -= self.r.take(at, mode="wrap") * t
                 least = value.argmin(axis=1)
                 found = value[rows, least]
                 better = found < best
@@ -203,7 +203,8 @@ def sketched(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFrame:
 def _verified(candidates: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts' weighted Jaccard similarity is at least threshold."""
     sent = candidates.sparkSession.sparkContext.broadcast(weights)
-    pairs = candidates.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    # Merge joins at every size: whether one side could be broadcast would change from size to size.
+    pairs = candidates.hint("merge").join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").hint("merge").join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last, held = sent.value, None, None
@@ -226,11 +227,10 @@ def _verified(candidates: DataFrame, texts: DataFrame, weights: Weights, thresho
 def components(links: DataFrame) -> DataFrame:
     """(row, component) for each end of links (a, b); component is the least row that it reaches.
 
-    Large-star and small-star steps in turn until nothing changes; a step only takes minima by key, which
+    Large-star and small-star steps in turn until all are stars; a step only takes minima by key, which
     are partly aggregated before they are dealt. Each step is written to the shared folder.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -238,10 +238,10 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
+        # Stars: whoever has a parent has one, and is nobody's parent.
+        ends = edges.select(F.col("u").alias("row"), F.lit(1).alias("parents"), F.lit(0).alias("children")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("row").agg(F.sum("parents").alias("p"), F.max("children").alias("c")).where("p > 1 OR p = 1 AND c = 1").isEmpty():
             break
-        state = now
     return edges.select(F.col("u").alias("row"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("row"), F.col("v").alias("component")).distinct())
 
 
@@ -277,17 +277,15 @@ def labelled(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) ->
     members = exploded.join(shared, "bucket")
     popular = members.groupBy("row").agg(F.sum("n").alias("shared"))
     members = written(members.join(popular, "row"), "members")
-    texts = written(table.select(F.col("__row").alias("row"), "text").join(members.select("row").distinct(), "row"), "candidate-texts")
+    texts = written(table.select(F.col("__row").alias("row"), "text").join(members.select("row").distinct().hint("merge"), "row"), "candidate-texts")
     large = members.where(F.col("n") > SMALL)
-    tried = written(_first_candidates(members), "pairs")
-    links = written(_verified(tried, texts, weights, threshold), "verified")
+    links = _verified(written(_first_candidates(members), "pairs"), texts, weights, threshold)
     labels = written(components(links), "labels")
     for turn in range(ROUNDS):
-        fresh = written(_later_candidates(large, labels, turn).join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        fresh = written(_later_candidates(large, labels, turn), "pairs")
         if fresh.isEmpty():
             break
         found = written(_verified(fresh, texts, weights, threshold), "verified")
-        tried = tried.union(fresh)
         if found.isEmpty():
             continue
         # Links so far are stars already: only their labels go on.
