@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeworks.functions import flows, patterns, prices, recursive, windows  # noqa: F401  they fill OPERATORS
-from tapeworks.operators import machines
+from tapeworks.operators import analysis, machines
 from tapeworks.plans import columns
 from tapeworks.sources import market, views
 
@@ -48,9 +48,14 @@ def _machine(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: machines.run(views.rows(spark, sf_dir, machines.MACHINES[name].reads), name)
 
 
+def _analysis(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: analysis.analyse(views.rows(spark, sf_dir, analysis.ANALYSES[name][0]), name, DIGITS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"sma": _sma} | {name: _query(op) for name, op in columns.OPERATORS.items()} | {name: _machine(name) for name in machines.MACHINES}
+    return {"sma": _sma} | {name: _query(op) for name, op in columns.OPERATORS.items()} | {name: _machine(name) for name in machines.MACHINES} | {name: _analysis(name) for name in analysis.ANALYSES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"sma": _SMA_SQL} | {name: _oracle(op) for name, op in columns.OPERATORS.items()}
+    analyses = {name: f"SELECT * FROM (WITH {views.duck(kind)} SELECT * FROM ({analysis.text(name, 'rows_', False, DIGITS)}) y) x" for name, (kind, *_) in analysis.ANALYSES.items()}
+    return {"sma": _SMA_SQL} | {name: _oracle(op) for name, op in columns.OPERATORS.items()} | analyses
