@@ -190,6 +190,22 @@ class Builder:
             return f"aggregate(transform({array}, {var} -> CAST({expression} AS DOUBLE)), 0e0, (a_, b_) -> a_ + b_)"
         return f"list_sum(list_transform({array}, lambda {var}: CAST({expression} AS DOUBLE)))"
 
+    def sorted(self, array: str, expression: str = "e") -> str:
+        """The values of an expression of each element, in order."""
+        if self.spark:
+            return self.let(f"sort_array(transform({array}, e -> CAST({expression} AS DOUBLE)))")
+        return self.let(f"list_sort(list_transform({array}, lambda e: CAST({expression} AS DOUBLE)))")
+
+    def item(self, array: str, k: int) -> str:
+        """The k-th element, from 0."""
+        return f"{array}[{k if self.spark else k + 1}]"
+
+    def sorted_quantile(self, array: str, q: float, n: int) -> str:
+        """Type-7 quantile of a sorted array of n values."""
+        h = q * (n - 1)
+        lo, hi = math.floor(h), min(math.floor(h) + 1, n - 1)
+        return self.let(f"{self.item(array, lo)} + {h - lo!r} * ({self.item(array, hi)} - {self.item(array, lo)})")
+
     def weighted(self, x, weights: list[float]) -> str:
         """Sum of weights times the last values, the last weight on the current one."""
         x = self.flat(x)
