@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.functions import flows, orders, patterns, prices, recursive, windows  # noqa: F401  they fill OPERATORS
+from tapeworks.functions import extras, flows, orders, patterns, prices, recursive, windows  # noqa: F401  they fill OPERATORS
 from tapeworks.operators import analysis, machines
 from tapeworks.plans import columns
 from tapeworks.sources import market, views
@@ -16,7 +16,12 @@ DIGITS = 9
 
 
 def _kind(op: columns.Operator) -> str:
-    return "return" if op.family == "risk and performance" and op.reads == "scalar" and op.name not in ("recovery_factor", "max_drawdown", "pain_index", "drawdown_duration") else op.reads
+    """Prices for most scalar operators, returns for ratios of returns, values around 0 for elementwise mathematics."""
+    if op.reads == "scalar" and op.family == "mathematics":
+        return "unit"
+    if op.reads == "scalar" and op.family == "risk and performance" and op.name not in ("recovery_factor", "max_drawdown", "average_drawdown", "pain_index", "drawdown_duration"):
+        return "return"
+    return op.reads
 
 
 def _query(op: columns.Operator) -> Callable[[SparkSession, str], DataFrame]:

@@ -11,6 +11,7 @@ FROM_CANDLES = {
     "candle": "SELECT series, at_ms, open AS o, high AS h, low AS l, close AS c, volume AS v FROM {candles}",
     "scalar": "SELECT series, at_ms, close AS x FROM {candles}",
     "return": "SELECT series, at_ms, x FROM (SELECT series, at_ms, close / lag(close) OVER (PARTITION BY series ORDER BY at_ms) - 1 AS x FROM {candles}) z WHERE x IS NOT NULL",
+    "unit": "SELECT series, at_ms, 2 * (close - floor(close)) - 1 AS x FROM {candles}",
     "pair": "SELECT a.series, a.at_ms, a.close AS x, b.close AS y FROM {candles} a JOIN (SELECT at_ms, close FROM {candles} WHERE series = 'view') b ON a.at_ms = b.at_ms WHERE a.series <> 'view'",
     "derivative": "SELECT series, at_ms, 0.0001e0 + (CAST(volume AS BIGINT) % 3) * 0.00001e0 AS funding, close AS mark, close - 0.1e0 AS idx, close + 0.3e0 AS fut, 1000 + 10 * volume + close AS oi, 500 + high AS longs, 400 + low AS shorts, volume * 3e0 AS tbuy, volume * 2e0 + 1 AS tsell, high - close AS lliq, close - low AS sliq FROM {candles}",
     "book": "SELECT series, at_ms, {array}({book}(close - 0.1e0, volume), {book}(close - 0.2e0, volume + 2), {book}(close - 0.4e0, volume * 2)) AS bids, {array}({book}(close + 0.1e0, high - low + 1), {book}(close + 0.3e0, volume + 1)) AS asks FROM {candles}",
