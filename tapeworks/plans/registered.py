@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeworks.functions import extras, flows, orders, patterns, prices, recursive, windows  # noqa: F401  they fill OPERATORS
-from tapeworks.operators import analysis, machines
+from tapeworks.operators import analysis, filters, machines  # noqa: F401  filters fill MACHINES
 from tapeworks.plans import columns
 from tapeworks.sources import market, views
 
