@@ -20,6 +20,8 @@ from tapeworks.llm.common import appended, remainder, written
 #: The sample that is fitted: confirmed toxic texts, and unlabelled ones, at most.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
 BITS = 18
+#: Log of the ratio, of a feature's share of the positives to that of the negatives, from which it takes part.
+TELLING = 1.0
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 300_000
 
@@ -55,6 +57,19 @@ def features_of(text: str | None, cache: Words) -> np.ndarray:
     return np.unique(np.concatenate(own)) if own else np.zeros(0, np.int32)
 
 
+def odds(p, u, positives: int, unlabelled: int, prior: float, m):
+    """Log of a feature's share of the positives over its share of the negatives, from the numbers p and u that have it.
+
+    The unlabelled texts are positives in the share of the prior, so the negatives' share is (u - prior * p) / (1 - prior):
+    a word of toxic texts alone is told at any prior. Half a standard error is added, as that difference is noisy where
+    the prior is high. m: the functions to use, of numpy or of Spark for columns.
+    """
+    sp, su = (p + 0.5) / (positives + 1), (u + 0.5) / (unlabelled + 1)
+    rest = su - prior * sp
+    error = m.sqrt(su / unlabelled + prior**2 * sp / positives)
+    return m.log(sp) - m.log(((rest + m.abs(rest)) / 2 + error / 2) / (1 - prior))
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights by hashed feature, and the bias, by the non-negative risk with the sigmoid loss (Adam).
 
@@ -67,8 +82,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return weights, float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
     count = lambda docs: np.bincount(np.concatenate(docs), minlength=size)
     cp, cu = count(positive), count(unlabelled)
-    odds = np.log((cp + 0.5) / (len(positive) + 1)) - np.log((cu + 0.5) / (len(unlabelled) + 1))
-    chosen = np.flatnonzero((cp >= max(3, len(positive) // 400)) & (odds > 1.0))
+    chosen = np.flatnonzero((cp >= max(3, len(positive) // 400)) & (odds(cp, cu, len(positive), len(unlabelled), prior, np) > TELLING))
     if not len(chosen):
         return weights, float(np.log(prior / (1 - prior)))
     place = np.full(size, -1, np.int64)
@@ -145,10 +159,10 @@ def learn(docs: DataFrame, labels: DataFrame, train, positives: int = MOST_POSIT
         texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * unlabelled).select("text", F.lit(0))), "toxic-sample")
     n = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, u = n.get(1, 0), n.get(0, 0)
-    if not p or not u:
+    if not p or not u or prior == 1:
         return Model({}, float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
     counted = sample.mapInArrow(_counts, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    telling = counted.where((F.col("p") >= max(3, p // 400)) & (F.log((F.col("p") + 0.5) / (p + 1)) - F.log((F.col("u") + 0.5) / (u + 1)) > 1.0))
+    telling = counted.where((F.col("p") >= max(3, p // 400)) & (odds(F.col("p"), F.col("u"), p, u, prior, F) > TELLING))
     chosen = sorted(r.feature for r in telling.select("feature").collect())  # of 2 ** BITS features
     sent = docs.sparkSession.sparkContext.broadcast(set(chosen))
 

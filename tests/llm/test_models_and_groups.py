@@ -59,6 +59,22 @@ def test_negative_risk_is_corrected():
     assert w[7] + b > 0 > b and (w >= 0).all()
 
 
+def test_toxicity_where_much_is_toxic(spark):
+    """A third of the rows are copies of one toxic text, and a tenth are other toxic ones: clean rows stay."""
+    from tapeworks.llm import toxicity
+
+    rng, rows = random.Random(8), []
+    copied = prose(rng) + " vilewordish nastything"
+    for k in range(1500):
+        kind = 2 if k % 3 == 0 else int(k % 10 == 1)
+        rows.append((k, copied if kind == 2 else prose(rng) + (" vilewordish horridone" if kind else ""), int(kind > 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"), ~toxicity.held_out(F.col("doc_id")))
+    got = toxicity.with_toxicity(docs, model).collect()
+    assert sum(r.toxic for r in got) / len(got) > 0.38
+    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.97
+
+
 def test_quality_held_out(spark):
     from tapeworks.llm import quality
 
