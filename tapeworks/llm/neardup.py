@@ -4,7 +4,8 @@ A text is the multiset of its five-word shingles, weighted by TF-IDF. Its sample
 share a band are candidates, candidates are verified by weighted Jaccard similarity, and verified links are
 joined to classes. Equal word sequences are one unit from the start. Document frequencies are counted over all
 texts in a table of fixed width. In a band's bucket that many units share, each is compared to a few centres,
-not to all others; later rounds compare what is still apart in a bucket with other centres.
+not to all others; later rounds compare what is still apart in a bucket with other centres, and at last all pairs
+of such units that can reach the threshold are found exactly, by the prefixes of their rarest shingles.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ RARE = 8.0
 #: Units of a bucket that are all compared with each other; larger buckets go by centres.
 SMALL = 6
 ROUNDS = 3
+#: Counters by which the shingles of units still apart are ordered (they decide the cost, not the result).
+FINE_BITS = 22
+#: For sums of floats in other orders.
+SLACK = 1e-9
 _MASK = (1 << 64) - 1
 _CHUNK = 512
 
@@ -266,6 +271,82 @@ def _later_candidates(large: DataFrame, labels: DataFrame, turn: int) -> DataFra
     return rest.select(F.col("centre").alias("a"), F.col("row").alias("b")).union(rest.join(among, "bucket").where("component <> x.component").select(F.col("x.row"), "row")).where("a <> b").distinct()
 
 
+def _count_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(1 << FINE_BITS, np.int64)
+    for b in batches:
+        for t in b.column("text"):
+            table[(shingles(words(t.as_py()))[0] >> np.uint64(64 - FINE_BITS)).astype(np.int64)] += 1
+    yield from _slices(0, {k: x for k, x in enumerate(table.reshape(-1, 1 << SLICE_BITS)) if x.any()})
+
+
+def ranks(texts: DataFrame) -> np.ndarray:
+    """Ranks of shingles by how many of the texts have them, by logarithm in a byte each; rare ones come first."""
+    kind = "slice int, counts binary"
+    first = texts.select("text").mapInArrow(_count_finely, kind)
+    level = first.repartition("slice", F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(_add_slices, kind)
+    out = np.zeros(1 << FINE_BITS, np.uint8)
+    for row in level.repartition("slice").mapInArrow(_add_slices, kind).where("slice >= 0").toLocalIterator():
+        own = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+        out[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = np.minimum(255, 8 * np.log2(1 + own))
+    return out
+
+
+def prefix(h: np.ndarray, w: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """A text's first shingles in the order of rank, each with the weight from it on, and the whole weight.
+
+    The overlap with any text at the threshold is at least threshold times the whole weight, so what comes after
+    the prefix can't hold all of it, and the first shingle that both texts have is in both prefixes.
+    """
+    order = np.lexsort((h, rank[(h >> np.uint64(64 - FINE_BITS)).astype(np.int64)]))
+    rest = np.cumsum(w[order][::-1])[::-1]
+    n = int((rest >= threshold * rest[0] * (1 - SLACK)).sum())
+    return h[order][:n].view(np.int64), rest[:n], float(rest[0])
+
+
+def _last_candidates(large: DataFrame, labels: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Every pair that can reach the threshold among the units of large buckets that are in several components.
+
+    Exact, by prefixes: the first shingle T that both have leaves an overlap of at most what either weighs from T
+    on, and an overlap of threshold / (1 + threshold) of both weights is needed. For each shingle, those outside
+    the component that most units with it are in are compared with all.
+    """
+    m = large.select("bucket", "row").join(labels, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    several = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    apart = written(m.join(several, "bucket").select("row", "component").distinct().hint("merge").join(texts, "row"), "apart")
+    sent = large.sparkSession.sparkContext.broadcast((weights, ranks(apart)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rank = sent.value
+        for b in batches:
+            for a in range(0, b.num_rows, 1000):
+                part = b.slice(a, 1000)
+                got = []
+                for t in part.column("text"):
+                    h, tf = shingles(words(t.as_py()))
+                    got.append(prefix(h, own(h, tf), rank, threshold))
+                n = [len(g[0]) for g in got]
+                spread = lambda x: np.repeat(np.asarray(x), n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([g[0] for g in got])), pa.array(spread(part.column("row").to_numpy())), pa.array(spread(part.column("component").to_numpy())), pa.array(np.concatenate([g[1] for g in got])), pa.array(spread([g[2] for g in got]))],
+                    names=["token", "row", "component", "rest", "total"],
+                )
+
+    tokens = written(apart.select("row", "component", "text").mapInArrow(run, "token long, row long, component long, rest double, total double"), "prefixes")
+    per = tokens.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "main")
+    x = tokens.hint("merge").join(main, "token").where("component <> main").drop("main").alias("x")
+    y = tokens.alias("y")
+    need = F.lit(threshold / (1 + threshold) * (1 - SLACK)) * (F.col("x.total") + F.col("y.total"))
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.least("x.rest", "y.rest") >= need)
+    return x.hint("merge").join(y, met).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels with more links. Links so far are stars already: only their labels go on."""
+    stars = labels.where("row <> component").select(F.col("component").alias("a"), F.col("row").alias("b"))
+    return written(components(stars.union(links)), "labels")
+
+
 def labelled(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """The sketch table of docs (kept columns, __row, __unit), and its units' classes (__unit, least __row of
     the unit, label: the class's least row)."""
@@ -288,9 +369,10 @@ def labelled(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) ->
         found = written(_verified(fresh, texts, weights, threshold), "verified")
         if found.isEmpty():
             continue
-        # Links so far are stars already: only their labels go on.
-        stars = labels.where("row <> component").select(F.col("component").alias("a"), F.col("row").alias("b"))
-        labels = written(components(stars.union(found)), "labels")
+        labels = _joined(labels, found)
+    last = written(_verified(written(_last_candidates(large, labels, texts, weights, threshold), "pairs"), texts, weights, threshold), "verified")
+    if not last.isEmpty():
+        labels = _joined(labels, last)
     classes = units.select("__unit", "row").join(labels, "row", "left").select("__unit", "row", F.coalesce("component", "row").alias("label"))
     return table, classes
 

@@ -171,6 +171,41 @@ def test_near_duplicates_by_brute_force(spark):
     assert neardup.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_pairs_in_large_buckets_by_brute_force(spark, monkeypatch):
+    """Texts of one template, mostly unlike each other, all in one bucket; without rounds, so that none hides a loss."""
+    from tapeworks.llm import neardup
+    from tapeworks.llm.common import words
+
+    rng, rows = random.Random(21), []
+    template = [f"t{k}" for k in range(100)]
+    for k in range(60):
+        own = [f"u{k}q{j}" for j in range(25 + k % 7)]
+        rows.append((len(rows), " ".join(template + own)))
+        if k % 3 == 0:
+            rows.append((len(rows), " ".join(template + own[: -(k % 6) or None] + [f"e{k}q{j}" for j in range(rng.randrange(1, 12))])))
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    sketched = neardup.sketched
+    monkeypatch.setattr(neardup, "sketched", lambda *a: sketched(*a).withColumn("__bands", F.array(F.lit(0).cast("long"))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = neardup.frequencies(docs)
+    vectors = [(h, weights(h, tf)) for h, tf in (neardup.shingles(words(t)) for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if neardup.similarity(vectors[a], vectors[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = {k: root(k) for k in range(len(rows))}
+    assert 20 < len(set(want.values())) < len(rows) - 8
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == want
+
+
 def test_samples_collide_as_often_as_weights_overlap():
     from tapeworks.llm.neardup import Sampler, similarity
 
