@@ -168,6 +168,14 @@ def decode(avi: bytes) -> tuple[np.ndarray, float]:
     return np.cumsum(d, axis=2).astype(np.uint8), fps
 
 
+def readable(avi: bytes | None) -> tuple[np.ndarray, float] | None:
+    """decode(), or None for null media and for what it can't read: other codings than lossless grey frames, damaged files."""
+    try:
+        return decode(avi) if avi is not None else None
+    except (ValueError, IndexError, KeyError, struct.error):
+        return None
+
+
 def cuts(frames: np.ndarray, bins: int = 16, reach: int = 6, factor: float = 2.0, least: float = 0.2) -> np.ndarray:
     """First frames of shots after the first.
 
@@ -196,7 +204,7 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def with_media(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs with n_bytes and media, the whole text (null: empty) stored as an AVI."""
+    """docs with n_bytes and media, the whole text (null: empty) stored as an AVI; columns of those names give way."""
 
     def make():
         import pyarrow as pa
@@ -211,7 +219,12 @@ def with_media(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def with_features(media: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """A media table with what its stored bytes say: sizes, hashes and a feature string. Null media: nulls."""
+    """A media table with what its stored bytes say: sizes, hashes and a feature string.
+
+    Null media: nulls. Media that can't be read (the reader takes its own lossless grey frames, not the lossy colour
+    frames of cameras; damaged files) have their size and hash, and nulls for the rest. Equal media, equal values;
+    repeated rows stay separate rows, an empty table gives no rows.
+    """
 
     def make():
         import pyarrow as pa
@@ -219,7 +232,9 @@ def with_features(media: DataFrame, keep: list[str] | None = None) -> DataFrame:
         def row(avi):
             if avi is None:
                 return None, None, None, None, None, None
-            frames, _ = decode(avi)
+            if (found := readable(avi)) is None:
+                return None, None, None, len(avi), hashlib.sha256(avi).hexdigest(), None
+            frames = found[0]
             data, at = frames.tobytes(), [0, *cuts(frames).tolist(), len(frames)]
             feature = f"frames={len(frames)};shots={len(at) - 1};longest={int(np.diff(at).max())};sum={int(frames.sum(dtype=np.int64))};cuts={zlib.crc32(repr(at).encode())}"
             return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(avi), hashlib.sha256(avi).hexdigest(), feature
@@ -236,7 +251,7 @@ def with_features(media: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def clips(media: DataFrame, key: str) -> DataFrame:
-    """Timed clip rows of a media table: key, clip, start_s, end_s, n_frames. Null media: no rows."""
+    """Timed clip rows of a media table: key, clip, start_s, end_s, n_frames. Null or unreadable media: no rows."""
     from pyspark.sql import functions as F
 
     def make():
@@ -245,9 +260,9 @@ def clips(media: DataFrame, key: str) -> DataFrame:
         kind = pa.list_(pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("n_frames", pa.int32())]))
 
         def row(avi):
-            if avi is None:
+            if (found := readable(avi)) is None:
                 return []
-            frames, fps = decode(avi)
+            frames, fps = found
             at = [0, *cuts(frames).tolist(), len(frames)]
             return [{"clip": k, "start_s": a / fps, "end_s": b / fps, "n_frames": b - a} for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
 

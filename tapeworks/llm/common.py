@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import shutil
+import tempfile
 import uuid
 import zlib
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_folder() -> str:
+    """For local sessions without a shared folder, as in tests: a folder that goes with the process."""
+    folder = tempfile.mkdtemp(prefix="tapeworks-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a local one of our own."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local session gets one of its own; a cluster raises."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file:///tmp/tapeworks-shared"
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = _local_folder()
     return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -31,7 +45,16 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what written() made for df, once nothing will read it any more."""
+    spark, path = df.sparkSession, df._written
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -55,13 +78,15 @@ def appended(df: DataFrame, make, added: str, inputs: list[str], keep: list[str]
     make() is called once per task and gives a function from a RecordBatch of the inputs, of at most so many
     rows, to a list of arrays, one for each column of the DDL string added. A kept column with the name of an
     added one gives way to it. where: the name of an added boolean; only its true rows are passed on, without it.
+    Columns travel under names of our own, so theirs may hold dots or clash with anything but the added ones.
     """
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     new = StructType.fromDDL(added)
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
-    read = list(dict.fromkeys([*kept, *inputs]))
-    schema = StructType([*(df.schema[c] for c in kept), *(f for f in new if f.name != where)])
+    shown = [f for f in new if f.name != where]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in {f.name for f in shown}]
+    travel = [f"k{k}" for k in range(len(kept))]
+    schema = StructType([*(StructField(t, df.schema[c].dataType) for t, c in zip(travel, kept, strict=True)), *(StructField(f"n{k}", f.dataType) for k, f in enumerate(shown))])
 
     def run(batches):
         import pyarrow as pa
@@ -70,10 +95,11 @@ def appended(df: DataFrame, make, added: str, inputs: list[str], keep: list[str]
         for whole in batches:
             for k in range(0, whole.num_rows, rows):
                 b = whole.slice(k, rows)
-                columns = dict(zip(kept, (b.column(c) for c in kept), strict=True)) | dict(zip(new.names, f(b), strict=True))
-                mask = columns.pop(where) if where else None
-                out = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                given = pa.RecordBatch.from_arrays([b.column(f"i{k}") for k in range(len(inputs))], names=inputs)
+                made = dict(zip(new.names, f(given), strict=True))
+                mask = made.pop(where) if where else None
+                out = pa.RecordBatch.from_arrays([*(b.column(c) for c in travel), *made.values()], names=schema.names)
                 yield out.filter(mask) if where else out
 
-    quoted = [f"`{c}`" for c in read]
-    return df.select(*quoted).mapInArrow(run, schema)
+    read = [F.col(f"`{c}`").alias(t) for c, t in zip(kept, travel, strict=True)] + [F.col(f"`{c}`").alias(f"i{k}") for k, c in enumerate(inputs)]
+    return df.select(*read).mapInArrow(run, schema).select(*(F.col(t).alias(c) for t, c in zip(schema.names, [*kept, *(f.name for f in shown)], strict=True)))

@@ -17,6 +17,10 @@ from tapeworks.llm.common import WORD_BYTES, appended, words
 #: Words of benchmark items that one automaton takes (some 100 bytes each in every Python worker). A larger
 #: benchmark is dealt to several automata, used in turn on each batch.
 WORDS_PER_AUTOMATON = 2_000_000
+#: UTF-8 bytes of all items together that are collected and broadcast; a larger benchmark raises.
+MOST_BYTES = 512_000_000
+#: Automata that a Python worker keeps; with more, they are built again in turn.
+KEPT = 4
 
 HITS = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
 
@@ -76,9 +80,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, keep: list[s
 
     A hit word lies in an occurrence of window consecutive words of an item (item_id, text), or of all of an
     item with fewer. Null or wordless texts have no hits; null or wordless items none either. A null item_id
-    is named by the empty string; rows that repeat an item count once. An empty items table hits nothing.
+    is named by the empty string; rows that repeat an item count once. An empty items table hits nothing; an empty
+    docs table gives no rows, and repeated rows stay separate rows.
     """
     spark = docs.sparkSession
+    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"items of more than {MOST_BYTES} bytes")
     listed = [(str(r[0]) if r[0] is not None else "", words(r[1])) for r in items.select("item_id", "text").where("text is not null").toLocalIterator()]
     listed.sort()
     shards: list[list] = [[]]
@@ -94,15 +102,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, keep: list[s
     def make():
         import pyarrow as pa
 
-        only = Automaton(sent[0].value, window) if len(sent) == 1 else None
+        kept: dict[int, Automaton] = {}
+
+        def automaton_of(k: int) -> Automaton:
+            if k not in kept:
+                if len(kept) >= KEPT:
+                    kept.pop(next(iter(kept)))
+                kept[k] = Automaton(sent[k].value, window)
+            return kept[k]
+
+        order = list(range(len(sent)))
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
         def run(b):
             texts = b.column("text").to_pylist()
             split = [words(t) for t in texts]
             runs, names = [[] for _ in texts], [set() for _ in texts]
-            for part in sent:
-                automaton = only or Automaton(part.value, window)
+            # Forth and back in turn, so that what is kept is used.
+            order.reverse()
+            for part in order:
+                automaton = automaton_of(part)
                 for k, ws in enumerate(split):
                     for a, e, own in automaton.scan(ws):
                         runs[k].append((a, e))

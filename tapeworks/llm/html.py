@@ -1,8 +1,10 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one for each block of text; page furniture that markup names (menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments) leaves empty lines. The text lengths of a few
-lines in a row are summed; where the sums surge a stretch of text begins, where they dive to zero it ends.
+footers, sidebars, notices, adverts, forms, reader comments) leaves empty lines, and the bounds of an article
+element leave a gap. The weights of a few lines in a row are summed: where the sums surge a stretch of text begins,
+where they dive to zero it ends. A line weighs its characters outside links; in an article or main element
+links count as well, and the line gets a bonus. Reading is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ from pyspark.sql import DataFrame
 
 from tapeworks.llm.common import appended
 
-#: Lines summed at each place, and the sum at which a stretch counts as text without an article element.
+#: Lines summed at each place, and the sum at which a stretch counts as text.
 WINDOW, SURGE = 3, 86
-#: Stretches with less than this share of the longest one's text are left out on pages without an article element.
+#: Stretches that weigh less than this share of the heaviest one are left out.
 SHARE = 0.25
+#: An article element's lines weigh so many times their characters, and so much more each.
+BONUS, HEAD_START = 8, 43
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|object|select|audio|video|canvas)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|object|select|audio|video|canvas)\b[^<>]*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
+# No quantifier gives back what it took, and an unquoted < ends a tag's attributes, so that unclosed tags cost their own length.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^<>]*+>")
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 # Elements by their HTML meaning, and names that pages give to their furniture.
@@ -56,21 +61,23 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def _ends(tags: list, k: int) -> int | None:
-    """The tag that closes tag k, or None."""
-    name, depth = tags[k][2], 0
-    for j in range(k, len(tags)):
-        if tags[j][2] == name:
-            depth += -1 if tags[j][1] else 1
-            if not depth:
-                return j
-    return None
+def _ends(tags: list) -> list[int | None]:
+    """For each tag the place of the one that closes it, or None, by a stack for each name."""
+    out: list[int | None] = [None] * len(tags)
+    opened: dict[str, list[int]] = {}
+    for k, (_, closing, name, *_) in enumerate(tags):
+        if not closing:
+            opened.setdefault(name, []).append(k)
+        elif opened.get(name):
+            out[opened[name].pop()] = k
+    return out
 
 
 def lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article) of each line; each piece of furniture is an empty line."""
+    """(text, characters outside links, inside an article) of each line; furniture and article bounds are empty lines."""
     html = _RAW.sub(lambda m: " " if (m[1] or "").lower() not in ("title",) else "", html)
     tags = [(m.start(), bool(m[1]), (m[2] or "").lower(), m[3] or "", m.end()) for m in _TAG.finditer(html)]
+    ends = _ends(tags)
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = at = articles = in_link = 0
@@ -90,7 +97,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             parts.append(html[at:start])
             linked += (start - at) * (in_link > 0)
         at = end
-        if not closing and name and name not in _VOID and _is_furniture(name, attributes, articles > 0) and (j := _ends(tags, k)) is not None:
+        if not closing and name and name not in _VOID and (j := ends[k]) is not None and _is_furniture(name, attributes, articles > 0):
             if name in _BLOCK or name == "head":
                 close()
                 out.append(("", 0, articles > 0))
@@ -101,7 +108,9 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         if name in _BLOCK:
             close()
             if name in ("article", "main"):
-                articles = max(0, articles + (-1 if closing else 1))
+                before, articles = articles, max(0, articles + (-1 if closing else 1))
+                if not before or not articles:
+                    out += [("", 0, False)] * (WINDOW - 1)
         elif name == "br":
             parts.append(" ")
         elif name == "a":
@@ -112,13 +121,10 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks in page order, joined by empty lines."""
-    found = lines(html or "")
-    inside = any(x[2] and x[0] for x in found)
-    weight = [len(t) if inside and a else 0 if inside else own for t, own, a in found]
+def stretches(weight: list[int]) -> list[tuple[int, int, int, int]]:
+    """(first line, line after the last, largest sum, whole weight) of each run of lines between dives of the window's sum to zero."""
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    stretches, k = [], 0
+    out, k = [], 0
     while k < len(sums):
         if not sums[k]:
             k += 1
@@ -128,19 +134,28 @@ def main_text(html: str | None) -> str:
             end += 1
         # The window runs ahead of the text: a stretch itself begins and ends with a line that weighs something.
         own = [i for i in range(k, end) if weight[i]]
-        stretches.append((own[0], own[-1] + 1, max(sums[k:end]), sum(weight[k:end])))
+        out.append((own[0], own[-1] + 1, max(sums[k:end]), sum(weight[k:end])))
         k = end
-    if not inside and stretches:
-        most = max(s[3] for s in stretches)
-        surging = [s for s in stretches if s[2] >= SURGE and s[3] >= SHARE * most]
-        stretches = surging or [max(stretches, key=lambda s: (s[3], -s[0]))]
-    return "\n\n".join(found[i][0] for a, b, *_ in stretches for i in range(a, b) if found[i][0] and (weight[i] or not inside))
+    return out
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks in page order, joined by empty lines."""
+    found = lines(html or "")
+    weight = [(BONUS * len(t) + HEAD_START if a else own) if t else 0 for t, own, a in found]
+    every = stretches(weight)
+    if not every:
+        return ""
+    most = max(s[3] for s in every)
+    chosen = [s for s in every if s[2] >= SURGE and s[3] >= SHARE * most] or [max(every, key=lambda s: (s[3], -s[0]))]
+    return "\n\n".join(found[i][0] for a, b, *_ in chosen for i in range(a, b) if found[i][0])
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """pages (html, and any columns) with text and n_chars, the main text and its code points.
 
     Null html counts as empty and gives an empty text. Nothing is cut; an existing text or n_chars column gives way.
+    Equal pages give equal texts, and repeated rows stay separate rows; an empty table gives no rows.
     """
 
     def make():

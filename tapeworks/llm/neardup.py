@@ -2,10 +2,16 @@
 
 A text is the multiset of its five-word shingles, weighted by TF-IDF. Its samples fall in bands; texts that
 share a band are candidates, candidates are verified by weighted Jaccard similarity, and verified links are
-joined to classes. Equal word sequences are one unit from the start. Document frequencies are counted over all
-texts in a table of fixed width. In a band's bucket that many units share, each is compared to a few centres,
-not to all others; later rounds compare what is still apart in a bucket with other centres, and at last all pairs
-of such units that can reach the threshold are found exactly, by the prefixes of their rarest shingles.
+joined to classes. Equal word sequences are one unit from the start.
+
+The inverse document frequency of a shingle is ln(1 + N / f), f being the number of the N texts that hold it, and
+one in a thousand of N at least. All texts are counted: first in a table of counters, whose every counter is an
+upper bound for its shingles, then the shingles of the heavy counters one by one, exactly. So what is broadcast has
+a bound that depends on the texts' mean length, not on their number.
+
+In a band's bucket that many units share, each is first compared to a few centres, then what is still apart to other
+centres. That only saves work: at last all pairs of units of such buckets that are in different components and can
+reach the threshold are found exactly, by the prefixes of their rarest shingles, so no bucket is cut short.
 """
 
 from __future__ import annotations
@@ -19,18 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import appended, words, written
+from tapeworks.llm.common import appended, discard, words, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and samples in each: a pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 3) ** 15 > 0.9999.
 BANDS, ROWS = 15, 3
-#: Counters of document frequencies; a counter holds all shingles of its hash, so frequencies are upper bounds.
-TABLE_BITS, SLICE_BITS = 18, 12
-#: The inverse document frequency stops growing at one text in so many, far above a counter's collisions, so
-#: that shingles of all but the largest groups of copies weigh the same.
-RARE = 8.0
+#: Counters by which the heavy shingles are found; a slice of them travels as one row.
+TABLE_BITS, SLICE_BITS = 21, 12
+#: From this share of all texts on, a shingle's document frequency tells; rarer ones weigh as much as one at it.
+COMMON = 1 / 1000
 #: Units of a bucket that are all compared with each other; larger buckets go by centres.
 SMALL = 6
+#: Rounds of comparisons with centres before the exact step.
 ROUNDS = 3
 #: Counters by which the shingles of units still apart are ordered (they decide the cost, not the result).
 FINE_BITS = 22
@@ -64,13 +70,18 @@ def shingles(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """TF-IDF weights by a table of document frequencies."""
+    """TF-IDF weights: the common shingles' sorted hashes with their document frequencies, all of them at least floor."""
 
-    def __init__(self, table: np.ndarray, n: int):
-        self.idf = np.log(2 + np.minimum(RARE, n / np.maximum(table, 1)))
+    def __init__(self, n: int, floor: float, common: np.ndarray, frequency: np.ndarray):
+        self.rare = float(np.log1p(n / max(floor, 1.0)))
+        self.common, self.idf = common, np.log1p(n / np.maximum(frequency, 1))
 
     def __call__(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        return tf * self.idf[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+        if not len(self.common):
+            return tf * self.rare
+        at = np.searchsorted(self.common, h)
+        at[at == len(self.common)] = 0
+        return tf * np.where(self.common[at] == h, self.idf[at], self.rare)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -132,12 +143,13 @@ class Sampler:
 
 
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's number of texts (slice -1) and its counters; every text adds 1 for each of its different shingles."""
     n, table = 0, np.zeros(1 << TABLE_BITS, np.int64)
     for b in batches:
         for t in b.column("text"):
             h, _ = shingles(words(t.as_py()))
             n += 1
-            table[np.unique((h >> np.uint64(64 - TABLE_BITS)).astype(np.int64))] += 1
+            np.add.at(table, (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64), 1)
     yield from _slices(n, {k: x for k, x in enumerate(table.reshape(-1, 1 << SLICE_BITS)) if x.any()})
 
 
@@ -157,19 +169,51 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _slices(int(n[0]), parts)
 
 
-def frequencies(docs: DataFrame) -> Weights:
-    """Document frequencies of all shingles of all texts, added up in two levels; the table's width is fixed."""
+def _summed_slices(first: DataFrame) -> DataFrame:
+    """Slices of counters added up in two levels, so that no task adds those of all tasks."""
     kind = "slice int, counts binary"
-    first = docs.select("text").mapInArrow(_count_shingles, kind)
     level = first.repartition("slice", F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(_add_slices, kind)
+    return level.repartition("slice").mapInArrow(_add_slices, kind)
+
+
+def frequencies(docs: DataFrame, share: float = COMMON) -> Weights:
+    """Weights by the document frequencies of the shingles of all texts.
+
+    The floor is share of the texts, or four times a counter's mean load, which is more only where texts have
+    thousands of words each. So at most a quarter as many shingles as there are counters are common.
+    """
     table, n = np.zeros(1 << TABLE_BITS, np.int64), 0
-    for row in level.repartition("slice").mapInArrow(_add_slices, kind).collect():
+    for row in _summed_slices(docs.select("text").mapInArrow(_count_shingles, "slice int, counts binary")).toLocalIterator():
         own = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
         if row["slice"] < 0:
             n += int(own[0])
         else:
             table[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] += own
-    return Weights(table, n)
+    floor = max(share * n, 4 * table.sum() / len(table))
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(table >= floor))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, held, size = np.unpackbits(sent.value).view(bool), [], 0
+
+        def summed():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "n"])
+
+        for b in batches:
+            for t in b.column("text"):
+                h, _ = shingles(words(t.as_py()))
+                held.append(h[heavy[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]])
+                size += len(held[-1])
+                if size > 1 << 20:
+                    yield summed()
+                    held, size = [], 0
+        if size:
+            yield summed()
+
+    exact = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= float(floor)).toArrow()
+    h, f = exact.column("h").to_numpy().view(np.uint64), exact.column("n").to_numpy()
+    order = np.argsort(h)
+    return Weights(n, float(floor), h[order], f[order])
 
 
 def sketched(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFrame:
@@ -242,7 +286,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        discard(before)
         # Stars: whoever has a parent has one, and is nobody's parent.
         ends = edges.select(F.col("u").alias("row"), F.lit(1).alias("parents"), F.lit(0).alias("children")).union(edges.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("row").agg(F.sum("parents").alias("p"), F.max("children").alias("c")).where("p > 1 OR p = 1 AND c = 1").isEmpty():
@@ -281,11 +326,9 @@ def _count_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def ranks(texts: DataFrame) -> np.ndarray:
     """Ranks of shingles by how many of the texts have them, by logarithm in a byte each; rare ones come first."""
-    kind = "slice int, counts binary"
-    first = texts.select("text").mapInArrow(_count_finely, kind)
-    level = first.repartition("slice", F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(_add_slices, kind)
+    counted = texts.select("text").mapInArrow(_count_finely, "slice int, counts binary")
     out = np.zeros(1 << FINE_BITS, np.uint8)
-    for row in level.repartition("slice").mapInArrow(_add_slices, kind).where("slice >= 0").toLocalIterator():
+    for row in _summed_slices(counted).where("slice >= 0").toLocalIterator():
         own = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
         out[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = np.minimum(255, 8 * np.log2(1 + own))
     return out
@@ -360,19 +403,23 @@ def labelled(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) ->
     members = written(members.join(popular, "row"), "members")
     texts = written(table.select(F.col("__row").alias("row"), "text").join(members.select("row").distinct().hint("merge"), "row"), "candidate-texts")
     large = members.where(F.col("n") > SMALL)
-    links = _verified(written(_first_candidates(members), "pairs"), texts, weights, threshold)
-    labels = written(components(links), "labels")
+    pairs = written(_first_candidates(members), "pairs")
+    labels = written(components(_verified(pairs, texts, weights, threshold)), "labels")
+    discard(pairs)
     for turn in range(ROUNDS):
         fresh = written(_later_candidates(large, labels, turn), "pairs")
         if fresh.isEmpty():
             break
         found = written(_verified(fresh, texts, weights, threshold), "verified")
-        if found.isEmpty():
-            continue
-        labels = _joined(labels, found)
-    last = written(_verified(written(_last_candidates(large, labels, texts, weights, threshold), "pairs"), texts, weights, threshold), "verified")
+        discard(fresh)
+        if not found.isEmpty():
+            labels = _joined(labels, found)
+    fresh = written(_last_candidates(large, labels, texts, weights, threshold), "pairs")
+    last = written(_verified(fresh, texts, weights, threshold), "verified")
     if not last.isEmpty():
         labels = _joined(labels, last)
+    for used in (fresh, texts, members):
+        discard(used)
     classes = units.select("__unit", "row").join(labels, "row", "left").select("__unit", "row", F.coalesce("component", "row").alias("label"))
     return table, classes
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -19,18 +20,19 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.common import appended, remainder
 
-#: Labelled texts that are fitted and broadcast, at most; of each label at least a quarter where there are so many.
+#: Labelled texts that are fitted and broadcast, at most: of each label in proportion, but a quarter at least where there are so many.
 MOST_LABELLED = 4000
 SHAPES, WORDS = 1024, 3072
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 48, 15, 4
-_CACHE = 300_000
+#: Tokens that are remembered, and the length from which one isn't.
+_CACHE, _LONG = 300_000, 64
 _RUNS = re.compile(r"(.)\1+", re.S)
 _CLASSES = str.maketrans({**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "x"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "X"), **dict.fromkeys("0123456789", "9")})
 
 
 def _shape(token: str) -> str:
     """Classes of characters without runs: x lower case, X upper case, 9 digits, others as they are."""
-    t = token[:256].translate(_CLASSES)
+    t = token.translate(_CLASSES)
     if not t.isascii():
         t = "".join(c if c < "\x80" else "X" if c.isupper() else "x" if c.isalpha() else c for c in t)
     return _RUNS.sub(r"\1", t)
@@ -57,7 +59,9 @@ class Terms:
         for token, k in at.items():
             pair = self.known.get(token)
             if pair is None:
-                pair = self.known[token] = self._of(token)
+                pair = self._of(token)
+                if len(token) <= _LONG:
+                    self.known[token] = pair
             ids += pair
             n += (k, k)
         again = sum(a == b for a, b in pairwise(tokens))
@@ -115,14 +119,30 @@ class Space:
         return np.clip(out, 0, 1)
 
 
+def shares(n: dict[int, int], most: int) -> dict[int, int]:
+    """How many of each label are taken, of n that there are: all if they fit, else in proportion but a quarter of most at least."""
+    total = sum(n.values())
+    if total <= most:
+        return dict(n)
+    out = {label: min(k, max(most * k // total, most // 4)) for label, k in n.items()}
+    largest = max(n, key=lambda label: n[label])
+    out[largest] = most - sum(k for label, k in out.items() if label != largest)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, train, most: int = MOST_LABELLED) -> Space:
-    """The space of at most so many labelled texts, chosen by a hash of their ids.
+    """The space of at most so many labelled texts, of each label those with the least hashes of their ids.
 
     train: a condition on doc_id. Null ids and null labels are passed over; of rows that repeat an id the least
-    text and the largest label count. The sample's bound is what makes its broadcast and collection safe.
+    text and the largest label count. Only labels of texts that are there count. The sample's bound is what makes its
+    broadcast and collection safe.
     """
-    chosen = labels.where(train & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
+    there = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    own = labels.where(train & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__label")).join(there.select("doc_id"), "doc_id", "left_semi")
+    n = {r["__label"]: r["n"] for r in own.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}  # 0 and 1
+    parts = [own.where(F.col("__label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for label, k in shares(n, most).items()]
+    chosen = reduce(DataFrame.union, parts) if parts else own.limit(0)
+    texts = there.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
 
     def make():
         import pyarrow as pa
@@ -143,8 +163,9 @@ def learn(docs: DataFrame, labels: DataFrame, train, most: int = MOST_LABELLED)
 def with_quality(docs: DataFrame, space: Space, keep: list[str] | None = None, threshold: float = 0.3, only: bool | None = None) -> DataFrame:
     """docs (text, and any columns) with score, the likelihood of label 1, and predicted (score >= threshold).
 
-    Null and blank texts have a zero vector and get the labelled texts' mean. only: instead of adding columns,
-    keep the rows with that prediction.
+    Null and blank texts have a zero vector and get the labelled texts' mean; equal texts score alike (of equal cosines
+    any neighbours vote), repeated rows stay separate rows, and an empty table gives no rows. only: instead of adding
+    columns, keep the rows with that prediction.
     """
     sent = docs.sparkSession.sparkContext.broadcast(space)
 

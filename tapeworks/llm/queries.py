@@ -71,9 +71,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tapeworks.llm.warc import archive, read_records
+    from tapeworks.llm.warc import archive, dealt, read_records
 
-    return read_records(archive(table(spark, sf_dir, "pages")), payloads=False).drop("html", "url")
+    return read_records(dealt(archive(table(spark, sf_dir, "pages"))), payloads=False).drop("html", "url")
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_html_text": op3_html_text, "op4_avi_media": op4_avi_media, "op5_near_duplicates": op5_near_duplicates, "op6_token_counts": op6_token_counts, "op7_toxicity": op7_toxicity, "op8_decontamination": op8_decontamination, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}

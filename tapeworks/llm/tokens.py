@@ -24,6 +24,10 @@ from tapeworks.llm.common import written
 #: Characters on which the pattern engine here and the library's agree (checked in the tests); a text with
 #: any other goes through the library's own pre-tokeniser.
 _OTHER = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\u024f\\u2013\\u2014\\u2018\\u2019\\u201c\\u201d\\u2026\\u20ac]")
+#: A bucket of pre-tokens for so many bytes of text, and at most so many: that many tasks count pieces.
+_BUCKET_BYTES, _LEAST_BUCKETS, _MOST_BUCKETS = 16_000_000, 32, 4096
+#: Pre-tokens whose pieces a task remembers; beyond them it forgets and counts again what returns.
+_KNOWN = 2_000_000
 #: A block is closed at so many (pre-token, document) pairs, documents or characters.
 _PAIRS, _DOCS, _CHARS = 1_500_000, 60_000, 24_000_000
 
@@ -141,7 +145,7 @@ def _blocks(path: str, buckets: int):
 
 
 def _counted(path: str):
-    """Pieces of each pre-token, in the rows' own order. Copies of a pre-token meet in one task."""
+    """Pieces of each pre-token, in the rows' own order. Copies of a pre-token meet in one task, which counts it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, known = PreTokens(path), {}
@@ -151,6 +155,8 @@ def _counted(path: str):
                 ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
                 pieces = [raw[a:e] for a, e in zip([0, *ends], ends, strict=False)]
                 fresh = [p for p in pieces if p not in known]
+                if len(known) > _KNOWN:
+                    known, fresh = {}, list(dict.fromkeys(pieces))
                 if fresh:
                     known.update(zip(fresh, pre.counts([p.decode("utf-8", "surrogatepass") for p in fresh]), strict=True))
                 rows.append(np.fromiter(map(known.__getitem__, pieces), np.uint32, len(pieces)).tobytes())
@@ -179,13 +185,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text).
 
     Null text counts as empty: 0 bytes, 0 tokens. Rows with equal or null ids stay separate rows. Special
-    strings inside a text count as the library counts them by default: one token. Texts are never cut.
+    strings inside a text count as the library counts them by default: one token. Texts are never cut. Other columns
+    are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    buckets = max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = min(_MOST_BUCKETS, max(_LEAST_BUCKETS, -(-size // _BUCKET_BYTES)))
     blocks = written(docs.select("doc_id", "text").mapInArrow(_blocks(tokenizer_path, buckets), _BLOCKS.format(id=kind)), "token-blocks")
-    counted = blocks.where("bucket is not null").select("block", "bucket", "pieces", "sizes").repartition("bucket").mapInArrow(_counted(tokenizer_path), "block long, bucket int, tokens binary")
+    counted = blocks.where("bucket is not null").select("block", "bucket", "pieces", "sizes").repartition(buckets, "bucket").mapInArrow(_counted(tokenizer_path), "block long, bucket int, tokens binary")
     counts = counted.groupBy("block").agg(F.collect_list(F.struct("bucket", "tokens")).alias("counts"))
     rows = blocks.where("bucket is null").drop("bucket", "pieces").join(counts, "block", "left")
     sums = rows.mapInArrow(_summed, f"doc_id {kind}, n_bytes long, n_tokens long")

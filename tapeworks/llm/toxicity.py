@@ -23,12 +23,13 @@ BITS = 18
 #: Log of the ratio, of a feature's share of the positives to that of the negatives, from which it takes part.
 TELLING = 1.0
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+#: Words that are remembered, and the length from which one isn't.
+_CACHE, _LONG = 300_000, 64
 
 
 def _of_word(word: str) -> list[int]:
     """Hashed features of a word: itself, and its character 3- to 5-grams with word ends marked."""
-    marked = f"<{word[:64]}>" if len(word) <= 64 else f"<{word}>"
+    marked = f"<{word}>"
     grams = {marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1))}
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in grams]
 
@@ -46,7 +47,9 @@ class Words:
         for w in dict.fromkeys(_WORD.findall((text or "").lower())):
             v = self.known.get(w)
             if v is None:
-                v = self.known[w] = self.make(_of_word(w))
+                v = self.make(_of_word(w))
+                if len(w) <= _LONG:
+                    self.known[w] = v
             out.append(v)
         return out
 
@@ -148,15 +151,18 @@ def learn(docs: DataFrame, labels: DataFrame, train, positives: int = MOST_POSIT
     """A model from at most so many confirmed toxic texts and about so many unlabelled ones.
 
     train: a condition on doc_id, for labels and unlabelled texts alike. The prior is the toxic share of the
-    labelled rows. Null ids and texts are passed over. Both samples are chosen by hash.
+    labelled rows. Null ids and texts are passed over; of rows that repeat an id the least text and the largest label
+    count. Both samples are chosen by a hash of the id: the positives of the least hashes among the documents, and
+    the unlabelled whose hash is a multiple of a step, which no order of tasks changes. No labels, or none toxic: a
+    model that rejects nothing.
     """
     own = labels.where(train & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = own.agg(F.avg("toxic")).first()[0] or 0.0
-    toxic = own.where("toxic = 1").select("doc_id", F.lit(1).alias("positive")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
-    texts = docs.select("doc_id", "text").where(train & F.col("text").isNotNull())
+    texts = docs.select("doc_id", "text").where(train & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    toxic = own.where("toxic = 1").join(texts.select("doc_id"), "doc_id", "left_semi").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
     every = max(1, -(-docs.select("doc_id").count() // unlabelled))
-    sample = written(texts.join(F.broadcast(toxic), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text", F.lit(1).alias("positive")).union(
-        texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * unlabelled).select("text", F.lit(0))), "toxic-sample")
+    one = lambda rows, flag: rows.groupBy("doc_id").agg(F.min("text").alias("text")).select("text", F.lit(flag).alias("positive"))
+    sample = written(one(texts.join(F.broadcast(toxic), "doc_id"), 1).union(one(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), 0)), "toxic-sample")
     n = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, u = n.get(1, 0), n.get(0, 0)
     if not p or not u or prior == 1:
@@ -183,8 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame, train, positives: int = MOST_POSIT
 def with_toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = 0.3, only: bool | None = None) -> DataFrame:
     """docs (text, and any columns) with score, the likelihood of label 1, and predicted (score >= threshold).
 
-    Null and wordless texts get the score of the bias alone. only: instead of adding columns, keep the rows
-    with that prediction.
+    Null and wordless texts get the score of the bias alone; equal texts score alike, repeated rows stay separate rows,
+    and an empty table gives no rows. only: instead of adding columns, keep the rows with that prediction.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

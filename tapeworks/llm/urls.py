@@ -126,7 +126,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: UrlModel, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, score for each row of pages (page_id, url).
 
-    A null url, or one without ://, has an empty host and path, so that only the trees judge it.
+    A null url, or one without ://, has an empty host and path, so that only the trees judge it, as an empty text. A
+    long url is judged whole. Repeated rows stay separate rows; other columns are ignored; an empty table gives no rows.
     """
     base = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     base = base.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))

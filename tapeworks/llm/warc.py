@@ -25,6 +25,8 @@ from tapeworks.llm.common import shared_dir, written
 LEAST_REVISIT = 1000
 #: An archive is closed after so many bytes of records.
 ARCHIVE_BYTES = 64_000_000
+#: Archives are normalised and read in so many tasks at most (a task takes several beyond).
+MOST_TASKS = 50_000
 _CHUNK = 1 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -215,8 +217,17 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes pages (page_id, url, html) as archives, normalises them, and returns the index.
 
-    Null html is an empty payload; a null url an empty one. An empty table makes no archive.
+    Null html is an empty payload; a null url an empty one; repeated rows are records of their own. An empty table
+    makes no archive. Other columns are ignored.
     """
     folder = folder or shared_dir(pages.sparkSession, "warc")
     mono = written(write_archives(with_revisits(pages), folder), "warc-list")
-    return written(normalise(mono.repartition("archive")), "warc-index")
+    return written(normalise(dealt(mono)), "warc-index")
+
+
+def dealt(archives: DataFrame) -> DataFrame:
+    """Rows with an archive column, those of one archive together and in order of offset, in about as many tasks as there are
+    archives. The number is given, as paths are so short that adaptive execution would put all in one task."""
+    tasks = max(1, min(MOST_TASKS, archives.select("archive").distinct().count()))
+    rows = archives.repartition(tasks, "archive")
+    return rows.sortWithinPartitions("archive", "offset") if "offset" in archives.columns else rows

@@ -44,6 +44,29 @@ def test_token_counts_of_no_rows(spark):
     assert token_counts(docs(spark, []), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
 
+def test_token_counts_by_small_buckets(spark, monkeypatch):
+    """Many buckets, and tasks that forget: the same counts."""
+    from tapeworks.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = docs(spark).withColumn("bucket", F.lit(1)).withColumn("a.b", F.lit(1))
+    want = sorted(map(str, tokens.token_counts(rows, path).collect()))
+    monkeypatch.setattr(tokens, "_BUCKET_BYTES", 5000)
+    monkeypatch.setattr(tokens, "_KNOWN", 1)
+    assert sorted(map(str, tokens.token_counts(rows, path).collect())) == want
+
+
+def test_media_that_cannot_be_read(spark):
+    from tapeworks.llm.avi import clips, encode, with_features
+
+    good = encode(b"x" * 384)
+    media = spark.createDataFrame([(1, bytearray(good)), (1, bytearray(good)), (2, bytearray(good[:300])), (3, bytearray(b"RIFF....")), (4, None), (5, bytearray(b""))], "doc_id long, media binary")
+    got = with_features(media).collect()
+    assert [(r.doc_id, r.payload_bytes, r.media_bytes) for r in got] == [(1, 384, len(good)), (1, 384, len(good)), (2, None, 300), (3, None, 8), (4, None, None), (5, None, 0)]
+    assert got[0].feature == got[1].feature and len(clips(media, "doc_id").collect()) == 2
+    assert with_features(media.limit(0)).collect() == []
+
+
 def test_media_hold_the_payload(spark):
     from tapeworks.llm.avi import clips, with_features, with_media
 
@@ -140,6 +163,55 @@ def test_main_text(spark):
     assert got[2] == ("", 0) and got[1][1] == len(got[1][0]) and got[None][1] == 20000 + 2 * 19999
 
 
+def plain_stretches(weight, window=3):
+    """Surge and dive by the definition: a line with weight joins the one before if no window between them sums to zero."""
+    at = [k for k, w in enumerate(weight) if w]
+    groups = []
+    for k in at:
+        if groups and all(any(weight[j] for j in range(i, i + window)) for i in range(groups[-1][-1], k)):
+            groups[-1].append(k)
+        else:
+            groups.append([k])
+    return [(g[0], g[-1] + 1, max(sum(weight[max(0, i) : i + window]) for i in range(g[0] - window + 1, g[-1] + 1)), sum(weight[k] for k in g)) for g in groups]
+
+
+def test_stretches_by_brute_force():
+    from tapeworks.llm.html import SHARE, SURGE, main_text, stretches
+
+    rng = random.Random(6)
+    for _ in range(300):
+        weight = [rng.choice([0, 0, 0, rng.randrange(1, 200)]) for _ in range(rng.randrange(0, 40))]
+        assert stretches(weight) == plain_stretches(weight)
+    # Pages without an article: plain lines and furniture, decided by the sums alone.
+    for _ in range(200):
+        texts = [rng.choice(["", "", "", "x" * rng.randrange(1, 150)]) for _ in range(30)]
+        page = "".join(f"<p>{t}</p>" if t else "<footer>f</footer>" for t in texts)
+        every = plain_stretches([len(t) for t in texts])
+        most = max((s[3] for s in every), default=0)
+        chosen = [s for s in every if s[2] >= SURGE and s[3] >= SHARE * most] or sorted(every, key=lambda s: (-s[3], s[0]))[:1]
+        assert main_text(page) == "\n\n".join(texts[i] for a, b, *_ in chosen for i in range(a, b) if texts[i])
+
+
+def test_reading_is_linear():
+    import time
+
+    from tapeworks.llm.html import main_text
+
+    for x in ("<form>", "<a ", "<svg ", '<a "', "<div class='x", "<!--", "<script>", "</p", "<", "<article>", "<p>x", "<a\"'<a\"'"):
+        start = time.time()
+        main_text(x * (1_000_000 // len(x)))
+        assert time.time() - start < 10, x
+
+
+def test_main_text_of_rows(spark):
+    from tapeworks.llm.html import extract
+
+    rows = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("a.b", F.lit(1))
+    got = extract(rows).collect()
+    assert len(got) == 2 and got[0].text == got[1].text and got[0]["a.b"] == 1
+    assert extract(rows.limit(0)).collect() == []
+
+
 PAGES = [(1, "http://a/1", "x" * 1000), (7, "http://a/7", "x" * 1000), (3, None, "x" * 1000), (4, "http://b\r\n", "é" * 499), (5, "u", "é" * 500), (6, "u", "é" * 500), (8, "u", None), (9, "u", ""), (7, "again", "x" * 1000), (None, "n", "x" * 1000), (2, "l", "z" * 3_000_000)]
 
 
@@ -173,3 +245,21 @@ def test_archives_round_trip(spark, tmp_path):
             e = json.loads(line)
             assert zlib.decompress(raw[e["offset"] : e["offset"] + e["length"]], 31).startswith(b"WARC/1.1")
     assert warc.read_records(warc.archive(pages.limit(0), f"file://{tmp_path}/e")).collect() == []
+
+
+def test_archives_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    from tapeworks.llm import warc
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 100) for k in range(300)], "page_id long, url string, html string").repartition(8)
+    index = warc.archive(pages, f"file://{tmp_path}/w")
+    archives = index.select("archive").distinct().count()
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        dealt = warc.dealt(index)
+        assert archives > 50 and dealt.rdd.getNumPartitions() == archives
+        assert len(index.inputFiles()) > archives // 3
+        assert dealt.select(F.spark_partition_id()).distinct().count() > archives // 3
+        assert warc.read_records(dealt).count() == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
