@@ -400,7 +400,8 @@ def plain_pipeline(docs, toxic, good, items):
     for t in items:
         ws = split(t)
         windows.update(tuple(ws[k : k + 10]) for k in range(max(1, len(ws) - 9)) if ws)
-    return [r.doc_id for r in rows if not any(tuple(split(r.text)[k : k + len(w)]) == w for w in windows for k in range(len(split(r.text))))]
+    leaks = lambda ws: any(tuple(ws[k : k + n]) in windows for n in {len(w) for w in windows} for k in range(len(ws)))
+    return [r.doc_id for r in rows if not leaks(split(r.text))]
 
 
 def test_pipeline_by_brute_force(spark, tmp_path):
