@@ -86,6 +86,7 @@ def appended(df: DataFrame, make, added: str, inputs: list[str], keep: list[str]
     shown = [f for f in new if f.name != where]
     kept = [c for c in (df.columns if keep is None else keep) if c not in {f.name for f in shown}]
     travel = [f"k{k}" for k in range(len(kept))]
+    under = {c: f"i{k}" for k, c in enumerate(inputs)} | dict(zip(kept, travel, strict=True))
     schema = StructType([*(StructField(t, df.schema[c].dataType) for t, c in zip(travel, kept, strict=True)), *(StructField(f"n{k}", f.dataType) for k, f in enumerate(shown))])
 
     def run(batches):
@@ -95,11 +96,11 @@ def appended(df: DataFrame, make, added: str, inputs: list[str], keep: list[str]
         for whole in batches:
             for k in range(0, whole.num_rows, rows):
                 b = whole.slice(k, rows)
-                given = pa.RecordBatch.from_arrays([b.column(f"i{k}") for k in range(len(inputs))], names=inputs)
+                given = pa.RecordBatch.from_arrays([b.column(under[c]) for c in inputs], names=inputs)
                 made = dict(zip(new.names, f(given), strict=True))
                 mask = made.pop(where) if where else None
                 out = pa.RecordBatch.from_arrays([*(b.column(c) for c in travel), *made.values()], names=schema.names)
                 yield out.filter(mask) if where else out
 
-    read = [F.col(f"`{c}`").alias(t) for c, t in zip(kept, travel, strict=True)] + [F.col(f"`{c}`").alias(f"i{k}") for k, c in enumerate(inputs)]
+    read = [F.col(f"`{c}`").alias(t) for c, t in under.items() if c in kept or c in inputs]
     return df.select(*read).mapInArrow(run, schema).select(*(F.col(t).alias(c) for t, c in zip(schema.names, [*kept, *(f.name for f in shown)], strict=True)))

@@ -101,7 +101,8 @@ class Sampler:
     r and c are Gamma(2, 1) and beta uniform, drawn once into tables of 65536 that an element's hash indexes.
     """
 
-    def __init__(self, k: int = BANDS * ROWS):
+    def __init__(self, k: int = BANDS * ROWS, plain: float | None = None):
+        """plain: the weight that most elements have; what follows from it is tabulated too, with the same results."""
         g = np.random.default_rng(20240101)
         size = 1 << 16
         self.r = g.gamma(2.0, 1.0, size).astype(np.float32)
@@ -110,29 +111,45 @@ class Sampler:
         # log a = log c - r (t - beta + 1), and what of that doesn't depend on the weight
         self.fixed = (np.log(g.gamma(2.0, 1.0, size)) - self.r * (1 - self.beta)).astype(np.float32)
         self.mult = g.integers(1, 1 << 62, k, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.k = k
+        self.k, self.plain = k, plain
+        if plain is not None:
+            self.plain_t = np.floor(self.inverse * np.float32(np.log(plain)) + self.beta)
+            self.plain_value = self.fixed - self.r * self.plain_t
 
     def __call__(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         best, out = np.full(self.k, np.inf, np.float32), np.zeros(self.k, np.uint64)
-        rows, log_w = np.arange(self.k), np.log(w).astype(np.float32)
-        for a in range(0, len(h), _CHUNK):
-            part = h[a : a + _CHUNK]
-            with np.errstate(over="ignore"):
-                at = ((part[None, :] * self.mult[:, None]) >> np.uint64(48)).view(np.int64)
-                t = self.inverse.take(at, mode="wrap")
-                t *= log_w[a : a + _CHUNK]
-                t += self.beta.take(at, mode="wrap")
-                np.floor(t, out=t)
-                value = self.fixed.take(at, mode="wrap")
-                value -= self.r.take(at, mode="wrap") * t
-                least = value.argmin(axis=1)
-                found = value[rows, least]
-                better = found < best
-                key = _mix(part[least] + t[rows, least].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            best = np.where(better, found, best)
-            out = np.where(better, key, out)
+        usual = w == self.plain if self.plain is not None else np.zeros(len(w), bool)
+        for part in np.split(h[usual], range(_CHUNK, int(usual.sum()), _CHUNK)):
+            if len(part):
+                at = self._places(part)
+                self._better(best, out, part, at, self.plain_value.take(at, mode="wrap"), None)
+        rest, log_w = h[~usual], np.log(w[~usual]).astype(np.float32)
+        for a in range(0, len(rest), _CHUNK):
+            part = rest[a : a + _CHUNK]
+            at = self._places(part)
+            t = self.inverse.take(at, mode="wrap")
+            t *= log_w[a : a + _CHUNK]
+            t += self.beta.take(at, mode="wrap")
+            np.floor(t, out=t)
+            value = self.fixed.take(at, mode="wrap")
+            value -= self.r.take(at, mode="wrap") * t
+            self._better(best, out, part, at, value, t)
         return out
 
+    def _places(self, part: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((part[None, :] * self.mult[:, None]) >> np.uint64(48)).view(np.int64)
+
+    def _better(self, best: np.ndarray, out: np.ndarray, part: np.ndarray, at: np.ndarray, value: np.ndarray, t: np.ndarray | None) -> None:
+        """Takes the least values of a part, with their elements and steps, where they are below the best so far."""
+        rows, least = np.arange(self.k), value.argmin(axis=1)
+        found = value[rows, least]
+        step = t[rows, least] if t is not None else self.plain_t[at[rows, least]]
+        with np.errstate(over="ignore"):
+            key = _mix(part[least] + step.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        better = found < best
+        best[better], out[better] = found[better], key[better]
+
     def bands(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         s = self(h, w).reshape(BANDS, ROWS)
         with np.errstate(over="ignore"):
@@ -226,7 +243,8 @@ def sketched(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFrame:
     def make():
         from pyspark import TaskContext
 
-        sampler, own, at = Sampler(), sent.value, TaskContext.get().partitionId() << 40
+        own, at = sent.value, TaskContext.get().partitionId() << 40
+        sampler = Sampler(plain=own.rare)
 
         def run(b):
             nonlocal at
