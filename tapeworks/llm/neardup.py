@@ -37,7 +37,7 @@ COMMON = 1 / 1000
 #: Units of a bucket that are all compared with each other; larger buckets go by centres.
 SMALL = 6
 #: Rounds of comparisons with centres before the exact step.
-ROUNDS = 3
+ROUNDS = 1
 #: Counters by which the shingles of units still apart are ordered (they decide the cost, not the result).
 FINE_BITS = 22
 #: For sums of floats in other orders.
@@ -200,7 +200,7 @@ def frequencies(docs: DataFrame, share: float = COMMON) -> Weights:
     thousands of words each. So at most a quarter as many shingles as there are counters are common.
     """
     table, n = np.zeros(1 << TABLE_BITS, np.int64), 0
-    for row in _summed_slices(docs.select("text").mapInArrow(_count_shingles, "slice int, counts binary")).toLocalIterator():
+    for row in _summed_slices(docs.select("text").mapInArrow(_count_shingles, "slice int, counts binary")).collect():  # one row for each slice
         own = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
         if row["slice"] < 0:
             n += int(own[0])
@@ -346,7 +346,7 @@ def ranks(texts: DataFrame) -> np.ndarray:
     """Ranks of shingles by how many of the texts have them, by logarithm in a byte each; rare ones come first."""
     counted = texts.select("text").mapInArrow(_count_finely, "slice int, counts binary")
     out = np.zeros(1 << FINE_BITS, np.uint8)
-    for row in _summed_slices(counted).where("slice >= 0").toLocalIterator():
+    for row in _summed_slices(counted).where("slice >= 0").collect():
         own = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
         out[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = np.minimum(255, 8 * np.log2(1 + own))
     return out
