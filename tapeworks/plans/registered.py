@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.functions import candles, extras, flows, native, orders, patterns, prices, recursive, windows  # noqa: F401  they fill OPERATORS
+from tapeworks.functions import candles, extras, flows, native, orders, patterns, prices, recursive, variants, windows  # noqa: F401  they fill OPERATORS
 from tapeworks.operators import analysis, filters, machines  # noqa: F401  filters fill MACHINES
+from tapeworks.operators import variants as _machines_of_variants  # noqa: F401
 from tapeworks.plans import columns
 from tapeworks.sources import market, views
 
