@@ -14,6 +14,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+#: Columns that order the rows of one series and at_ms, for inputs that have them (those made of ticks): microseconds, then number.
+TIES = ("us", "seq")
+
 #: Input kinds and their value columns; every input has series and at_ms as well.
 INPUTS = {
     "candle": ("o", "h", "l", "c", "v"),
@@ -49,10 +52,11 @@ def operator(name: str, reads: str, make: Callable, family: str, **params) -> No
 
 @dataclass
 class Builder:
-    """Collects the levels of a query. spark tells the dialect; prefix keeps fused operators' names apart."""
+    """Collects the levels of a query. spark tells the dialect; prefix keeps fused operators' names apart; order sorts a series."""
 
     spark: bool = True
     prefix: str = "v"
+    order: str = "at_ms"
     levels: list[dict[str, str]] = field(default_factory=list)
     known: dict[str, str] = field(default_factory=dict)
 
@@ -80,7 +84,7 @@ class Builder:
         """The frame of the last n rows (None: all up to here), ending shift rows before the current one."""
         start = "UNBOUNDED PRECEDING" if n is None else f"{n - 1 + shift} PRECEDING" if n - 1 + shift else "CURRENT ROW"
         end = f"{shift} PRECEDING" if shift else "CURRENT ROW"
-        return f"(PARTITION BY {keys} ORDER BY at_ms ROWS BETWEEN {start} AND {end})"
+        return f"(PARTITION BY {keys} ORDER BY {self.order} ROWS BETWEEN {start} AND {end})"
 
     def roll(self, f: str, x, n: int, shift: int = 0) -> str:
         """An aggregate over n rows; null until all of them have a value."""
@@ -124,7 +128,7 @@ class Builder:
 
     def lag(self, x, k: int = 1) -> str:
         x = self.flat(x)
-        return self.let(f"lag({x}, {k}) OVER (PARTITION BY series ORDER BY at_ms)") if k else x
+        return self.let(f"lag({x}, {k}) OVER (PARTITION BY series ORDER BY {self.order})") if k else x
 
     def cum(self, x, f: str = "sum", keys: str = "series") -> str:
         return self.let(f"{f}({self.flat(x)}) OVER {self.over(keys=keys)}")
@@ -152,7 +156,7 @@ class Builder:
         block = self.let(f"CASE WHEN {u} IS NOT NULL THEN CAST(floor({at} / {float(length)!r}) AS BIGINT) ELSE -1 END")
         place = self.let(f"CAST({at} - {block} * {length} AS DOUBLE)")
         scaled = self.let(f"{u} * exp({place} * {-math.log(q)!r})")
-        own = self.let(f"sum({scaled}) OVER (PARTITION BY series, {block} ORDER BY at_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        own = self.let(f"sum({scaled}) OVER (PARTITION BY series, {block} ORDER BY {self.order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
         before = self.let(f"sum({scaled}) OVER (PARTITION BY series ORDER BY {block} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)")
         return self.let(f"CASE WHEN {u} IS NOT NULL THEN exp({place} * {math.log(q)!r}) * ({own} + coalesce({before}, 0e0) * {q**length!r}) END")
 
@@ -171,7 +175,7 @@ class Builder:
         return self.smooth(x, 1 / n, n)
 
     def rn(self) -> str:
-        return self.let("CAST(row_number() OVER (PARTITION BY series ORDER BY at_ms) AS DOUBLE)")
+        return self.let(f"CAST(row_number() OVER (PARTITION BY series ORDER BY {self.order}) AS DOUBLE)")
 
     def div(self, a, b, other="NULL") -> str:
         """a / b; other where b is 0."""
@@ -218,6 +222,11 @@ class Builder:
         return f"(CASE WHEN {self.rn()} >= {n} THEN {x} END)"
 
 
+def order(df: DataFrame) -> str:
+    """What sorts the rows of a series: time, then what tells rows of the same time apart."""
+    return ", ".join(["at_ms", *(c for c in TIES if c in df.columns)])
+
+
 def outputs(op: Operator, builder: Builder, params: dict) -> dict[str, str]:
     made = op.make(builder, **(op.params | params))
     made = made if isinstance(made, dict) else {"value": made}
@@ -255,8 +264,8 @@ def _frame(df: DataFrame, levels: list[dict[str, str]], made: dict[str, str], di
 
 
 def compute(df: DataFrame, name: str, digits: int | None = None, **params) -> DataFrame:
-    """The operator's columns for every row of df (series, at_ms and the operator's inputs)."""
-    b = Builder()
+    """The operator's columns for every row of df (series, at_ms, the operator's inputs and, for rows of one at_ms, TIES)."""
+    b = Builder(order=order(df))
     made = outputs(OPERATORS[name], b, params)
     return _frame(df, b.levels, made, digits)
 
@@ -266,7 +275,7 @@ def fused(df: DataFrame, requests: dict[str, tuple[str, dict]], digits: int | No
     levels: list[dict[str, str]] = []
     made: dict[str, str] = {}
     for k, (label, (name, params)) in enumerate(requests.items()):
-        b = Builder(prefix=f"f{k}v")
+        b = Builder(prefix=f"f{k}v", order=order(df))
         made |= {f"{label}_{key}": x for key, x in outputs(OPERATORS[name], b, params).items()}
         for i, level in enumerate(b.levels):
             while len(levels) <= i:

@@ -9,9 +9,10 @@ HOUR_MS = 3_600_000
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """series, at_ms, seq, price, volume from events with a positive value."""
+    """series, at_ms, us (microseconds within at_ms), seq, price, volume from events with a positive value."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value > 0")
-    return e.select(F.col("event_type").alias("series"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
+    at = F.col("ts").cast("timestamp")
+    return e.select(F.col("event_type").alias("series"), F.unix_millis(at).alias("at_ms"), F.pmod(F.unix_micros(at), F.lit(1000)).alias("us"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
 
 
 def candles(spark: SparkSession, sf_dir: str, bucket_ms: int = HOUR_MS) -> DataFrame:

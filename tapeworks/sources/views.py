@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeworks.plans.columns import TIES
 from tapeworks.sources import market
 
 #: SQL over candles(series, at_ms, open, high, low, close, volume), by kind of input.
@@ -31,14 +32,14 @@ FROM_TICKS = {
     "trade": "SELECT series, at_ms, price, 1e0 + (seq % 5) AS size, CASE WHEN seq % 2 = 0 THEN 1e0 ELSE -1e0 END AS side FROM {ticks}",
     "quote": "SELECT series, at_ms, price + 0.02e0 AS price, 1e0 + (seq % 3) AS size, CASE WHEN seq % 2 = 0 THEN 1e0 ELSE -1e0 END AS side, price AS mid FROM {ticks}",
 }
-#: Ticks in DuckDB; the same as market.ticks.
+#: Ticks in DuckDB; the same as market.ticks, without us.
 TICKS_SQL = "ticks AS (SELECT event_type AS series, epoch_us(ts) // 1000 AS at_ms, event_id AS seq, value AS price, 1.0 AS volume FROM events WHERE value > 0)"
 
 
 def rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """The input rows of a kind, from the driver's events."""
+    """The input rows of a kind, from the driver's events; those of ticks with the columns that order ticks of one at_ms."""
     if kind in FROM_TICKS:
-        return spark.sql(FROM_TICKS[kind], ticks=market.ticks(spark, sf_dir))
+        return spark.sql(FROM_TICKS[kind].replace(" FROM {ticks}", f", {', '.join(TIES)} FROM {{ticks}}"), ticks=market.ticks(spark, sf_dir))
     text = FROM_CANDLES[kind].replace("{array}", "array").replace("{book}", "_book")
     for _ in range(8):
         text = _named(text)

@@ -120,6 +120,25 @@ def test_every_query_has_an_oracle_and_the_empty_table_works(spark):
     assert values(columns.compute(series(spark, []), "ema")) == []
 
 
+def test_ticks_of_one_millisecond_are_in_order_of_microseconds_and_number(spark, tmp_path):
+    """kyles_lambda by a plain loop over ticks of which up to six share a millisecond, for rows stored in any order."""
+    ticks = [(1_700_000_000_000_000 + (k // 6) * 1000 + (k % 6) // 2 * 150, (k * 7) % 240, 50.0 + (k * k) % 23) for k in range(240)]
+    by_time = sorted(ticks)
+    want, q, dm = [], [], []
+    for (_, _, before), (_, n, mid) in zip(by_time, by_time[1:]):
+        q, dm = [*q, (1 + n % 3) * (1 if n % 2 == 0 else -1)][-8:], [*dm, mid - before][-8:]
+        mean_q, mean_dm = sum(q) / len(q), sum(dm) / len(dm)
+        var = sum((a - mean_q) ** 2 for a in q)
+        want.append(None if len(q) < 8 else 0.0 if var == 0 else sum((a - mean_q) * (b - mean_dm) for a, b in zip(q, dm)) / var)
+    want = sorted(((us // 1000, x) for (us, _, _), x in zip(by_time, [None, *want])), key=repr)
+    for k, stored in enumerate((by_time, by_time[::-1], ticks[1::2] + ticks[::2])):
+        rows = ", ".join(f"({n}, timestamp_micros({us}), 'a', {mid}D)" for us, n, mid in stored)
+        spark.sql(f"SELECT * FROM VALUES {rows} AS t(event_id, ts, event_type, value)").coalesce(1).write.parquet(f"{tmp_path}/{k}/events.parquet")
+        got = sorted(((r.at_ms, r.value) for r in registered.queries()["kyles_lambda"](spark, f"{tmp_path}/{k}").collect()), key=repr)
+        assert [t for t, _ in got] == [t for t, _ in want]
+        assert all(a is None and b is None or abs(a - b) <= 1e-6 * (1 + abs(b)) for (_, a), (_, b) in zip(got, want))
+
+
 def test_tick_bars(spark):
     ticks = spark.createDataFrame([("a", 10, 1, 5.0, 1.0), ("a", 20, 2, 7.0, 1.0), ("a", 59, 3, 4.0, 2.0), ("a", 60, 4, 9.0, 1.0), ("a", -1, 0, 2.0, 1.0)], "series string, at_ms long, seq long, price double, volume double")
     from tapeworks.operators.bars import tick_bars
